@@ -15,15 +15,50 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactframe.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactframe.llm.token_count import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactframe.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP1_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body) as n, sha1(body) as hex, min(page_id) over (partition by body) as first_id from p),
+b as (select *, [('0x' || substr(hex, 5 * i + 1, 5))::bigint for i in range(8)] as g from d)
+select page_id, n::bigint as payload_bytes,
+  array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31)::int + 1, 1) for s in [15, 10, 5, 0]] for x in g]), '') as payload_digest,
+  case when page_id is not distinct from first_id then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from first_id then first_id end as refers_to
+from b
+"""
+
+OP9_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0),
+r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL, "op9_top_k": OP9_SQL}
