@@ -21,6 +21,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactframe.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=5)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pactframe.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactframe.llm.token_count import count_tokens
 
