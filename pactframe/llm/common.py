@@ -71,3 +71,31 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[d
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def extend(df: DataFrame, text_col: str, fn: Callable[[list[str | None]], list[dict[str, Any]]], schema: str, name: str) -> DataFrame:
+    """``df`` as it is and a struct column ``name`` with what ``fn`` makes of the texts, a slice at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    importable(df.sparkSession)
+    made = _parse_datatype_string(schema)
+    kind = to_arrow_schema(StructType().add(name, made)).field(0)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                out = pa.array(fn(part.column(at).to_pylist()), type=kind.type)
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, made))
