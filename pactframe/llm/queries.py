@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pactframe.llm.common import table
 
 
+#: Host, path prefix, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -39,6 +43,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cutoff=0.7)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactframe.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pactframe.llm.bpe import encode_decode
