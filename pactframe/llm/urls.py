@@ -35,7 +35,7 @@ FEATURES = ("length", "host_length", "labels", "depth", "path_length", "digits",
 
 def host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
-    return F.translate(F.regexp_substr(_rest(url), F.lit("^[^/?#]*")), UPPER, LOWER)
+    return F.translate(F.regexp_extract(_rest(url), "^[^/?#]*", 0), UPPER, LOWER)
 
 
 def path(url: Column) -> Column:
