@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pactframe.llm.bpe import encode_decode
 from pactframe.llm.minhash import near_duplicates
-from pactframe.llm.quality_rules import binomial_tail, measure
+from pactframe.llm.quality_rules import RULES, binomial_tail, cutoffs, measure
 from pactframe.llm.token_count import count_tokens
 from pactframe.llm.urls import judge
 from pactframe.llm.mil import encode, train
@@ -89,3 +89,17 @@ def test_url_rules(spark):
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
     assert got[2].host == got[3].path == "" and got[2].rule is None
     assert got[4].rule == "org/es/" and got[5].rule is None
+
+
+def test_cutoffs_of_small_and_large_strata(spark):
+    clean, junk, lines = (0.0, 0.0, 0.0, 5.0), (0.3, 0.0, 0.0, 5.0), (0.0, 0.9, 0.0, 5.0)
+    rows = [(s, True, *clean) for s, n in (("a", 217), ("b", 216), ("c", 4000), (None, 300)) for _ in range(n)]
+    rows += [(s, False, *junk) for s in ("a", "b", "c", None) for _ in range(9)]
+    # in c, good texts break the first rule, and bad ones also the second
+    rows += [("c", True, *junk) for _ in range(200)] + [("c", False, *lines) for _ in range(9)]
+    got = {r.stratum: r for r in cutoffs(spark.createDataFrame(rows, "stratum string, good boolean, " + ", ".join(f"{r} double" for r in RULES))).collect()}
+    # four strata: 217 good texts certify, 216 don't
+    assert got["a"].symbols is not None and got["a"].symbols < 0.3 and got["a"].dup_lines is None
+    assert got[None].symbols is not None
+    assert all(got["b"][r] is None for r in RULES)
+    assert got["c"].symbols is None and got["c"].dup_lines is not None
