@@ -4,9 +4,10 @@ Rules are ``(host, path prefix, verdict)``; one fits its host and all subdomains
 (host and path together, then the smaller text) wins. They are applied with built-in expressions: a look-up of the host and its parent domains.
 
 What no rule decides is judged by boosted trees over features of the URL's text: length, depth, digit ratio, entropy, parameter
-counts, hyphens, and statistics of the suffix and of the first path segment (smoothed block rates learned from the labelled URLs). Trees are grown
-on histograms of the features with second-order gains. Labelled URLs are whatever (url, blocked) rows the caller has; the registered
-query takes the URLs that its rules decide. The fit runs on the driver over at most ``SAMPLE`` labelled URLs (the smallest hashes); scoring covers
+counts, hyphens, and statistics of the suffix, the first path segment and the host's words (smoothed block rates learned from the labelled URLs; of
+the words the highest counts). Trees are grown on histograms of the features with second-order gains. Labelled URLs are whatever (url, blocked) rows
+the caller has; the registered query takes the fixed list of ``url_labels``, never the verdicts of its rules, as those tell nothing on the URLs that
+no rule decides. From the list, statistics are learned out of fold by host, so that trees see them as they are for unknown hosts. The fit runs on the driver over at most ``SAMPLE`` labelled URLs (the smallest hashes); scoring covers
 every row. Suffix tables hold at most ``TABLE`` entries, the most frequent ones of the sample; others get the mean.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule, and is judged like any other; whole URLs count; null labels
@@ -17,6 +18,8 @@ ignored; empty tables give empty results.
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Sequence
 
@@ -24,12 +27,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactframe.llm import url_labels
 from pactframe.llm.common import map_rows
 
 SAMPLE, TABLE = 20_000, 1_000
 TREES, DEPTH, RATE, BINS, LEAF, RIDGE = 60, 4, 0.15, 32, 20, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-STATISTICS = ("suffix", "domain", "segment")
+FOLDS = 5
+STATISTICS = ("suffix", "domain", "segment", "words")
 FEATURES = ("length", "host_length", "labels", "depth", "path_length", "digits", "letters", "hyphens", "host_digits", "entropy", "host_entropy", "parameters", "query_length", "fragment", "extension", "secure", "www", *STATISTICS)
 
 
@@ -83,6 +88,11 @@ def keys(url: str | None) -> tuple[str, str, str]:
     return labels[-1], ".".join(labels[-2:]), f"{labels[-1]} {segment[:24]}"
 
 
+def host_words(url: str | None) -> list[str]:
+    """Runs of letters in the host before its suffix."""
+    return sorted(set(re.findall(r"[^\W\d_]+", _parts(url)[0].rpartition(".")[0])))
+
+
 def lexical(url: str | None) -> list[float]:
     text = url or ""
     name, way, query, fragment, scheme = _parts(url)
@@ -97,13 +107,14 @@ class Boosted:
     """Boosted trees for a binary label over binned features. A node is (feature, bin, left, right) or a value."""
 
     def __init__(self):
-        self.tables: list[dict[str, float]] = [{}, {}, {}]
+        self.tables: list[dict[str, float]] = [{} for _ in STATISTICS]
         self.edges: list[np.ndarray] = []
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = self.mean = 0.0
 
     def features(self, urls: Iterable[str | None]) -> np.ndarray:
-        rows = [[*lexical(u), *(t.get(k, self.mean) for t, k in zip(self.tables, keys(u)))] for u in urls]
+        words = self.tables[-1]
+        rows = [[*lexical(u), *(t.get(k, self.mean) for t, k in zip(self.tables, keys(u))), max((words.get(w, self.mean) for w in host_words(u)), default=self.mean)] for u in urls]
         return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 
     def binned(self, x: np.ndarray) -> np.ndarray:
@@ -121,16 +132,28 @@ class Boosted:
                 out += value[node]
         return out
 
-    def fit(self, urls: Sequence[str | None], y: np.ndarray) -> Boosted:
+    def learn_rates(self, urls: Sequence[str | None], y: np.ndarray) -> None:
+        of = [[*([k] for k in keys(u)), host_words(u)] for u in urls]
+        for i in range(len(self.tables)):  # block rates, shrunk to the mean
+            n, hit = Counter(x for k in of for x in k[i]), Counter(x for k, v in zip(of, y) if v for x in k[i])
+            self.tables[i] = {k: (hit[k] + 10 * self.mean) / (c + 10) for k, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:TABLE]}
+
+    def fit(self, urls: Sequence[str | None], y: np.ndarray, groups: Sequence[str] | None = None) -> Boosted:
+        """With ``groups`` (a text for each URL) trees are grown on rates learned from URLs of other groups."""
         self.mean = float(y.mean()) if len(y) else 0.0
         if not 0 < self.mean < 1:
             self.base = 20.0 if self.mean else -20.0
             return self
-        of = [keys(u) for u in urls]
-        for i, table in enumerate(self.tables):  # block rates, shrunk to the mean
-            n, hit = Counter(k[i] for k in of), Counter(k[i] for k, v in zip(of, y) if v)
-            table |= {k: (hit[k] + 10 * self.mean) / (c + 10) for k, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:TABLE]}
-        x = self.features(urls)
+        if groups is None:
+            self.learn_rates(urls, y)
+            x = self.features(urls)
+        else:
+            x, fold = np.zeros((len(y), len(FEATURES))), np.array([zlib.crc32(g.encode()) % FOLDS for g in groups])
+            for k in range(FOLDS):
+                rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+                self.learn_rates([urls[i] for i in rest], y[rest])
+                x[own] = self.features([urls[i] for i in own])
+            self.learn_rates(urls, y)
         self.edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(x.shape[1])]
         b, f = self.binned(x), np.full(len(y), math.log(self.mean / (1 - self.mean)))
         self.base = float(f[0])
@@ -175,13 +198,17 @@ def fit(labelled: DataFrame, *, url_col: str = "url", label_col: str = "blocked"
     return Boosted().fit(got.column("url").to_pylist(), np.array(got.column("y").to_pylist(), np.float64))
 
 
+def built_in() -> Boosted:
+    """Learned from the fixed list."""
+    urls, y, groups = url_labels.labelled()
+    return Boosted().fit(urls, np.array(y, np.float64), groups)
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
-    """(id, host, path, rule, verdict, score) of each row; without ``labelled`` URLs those that a rule decides are learned from."""
+    """(id, host, path, rule, verdict, score) of each row; without ``labelled`` URLs the fixed list is learned from."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    if labelled is None:
-        decided = rows.withColumn("hit", fitting(host(F.col("url")), path(F.col("url")), rules)).filter("hit is not null")
-        labelled = decided.select(F.col("url").alias(url_col), (F.col("hit.verdict") == "block").alias("blocked"))
-    sent = pages.sparkSession.sparkContext.broadcast(fit(labelled, url_col=url_col, sample=sample))
+    model = built_in() if labelled is None else fit(labelled, url_col=url_col, sample=sample)
+    sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(parts):
         for part in parts:

@@ -103,3 +103,14 @@ def test_cutoffs_of_small_and_large_strata(spark):
     assert got[None].symbols is not None
     assert all(got["b"][r] is None for r in RULES)
     assert got["c"].symbols is None and got["c"].dup_lines is not None
+
+
+def test_undecided_urls_do_not_follow_the_rules(spark):
+    spam, plain = ("poker-club.shop", "www.viagra-now.shop"), ("harbour.shop", "www.poetry.shop")
+    hosts = [f"{h}.{s}" for s in ("com", "net", "org") for h in spam + plain]
+    # rules that block all they decide of .org and allow all of .net
+    rows = [*enumerate(f"https://{h}/en/{i}" for i, h in enumerate(hosts)), *((100 + i, f"http://h{i}.{s}/x/{i}") for i, s in enumerate(["org", "net"] * 200))]
+    got = judge(spark.createDataFrame(rows, "page_id long, url string"), [("org", "/x/", "block"), ("net", "/x/", "allow")]).filter("page_id < 100").collect()
+    assert len(got) == len(hosts) and all(r.rule is None for r in got)
+    for r in got:
+        assert r.verdict == ("block" if r.host.rsplit(".", 1)[0] in spam else "allow"), r
