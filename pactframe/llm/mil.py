@@ -5,9 +5,9 @@ byte pairs and a few statistics, then a dense layer, h = relu(E x + e). Gated at
 a = softmax(w . (tanh(V h) * sigmoid(U h))), and the document's score is sigmoid(c . sum(a h) + b). All of it is learned together from
 document labels alone.
 
-The fit runs on the driver over a bounded sample: at most ``SAMPLE`` labelled documents (those of the smallest hashed ids) and of
-each at most ``MOST_PASSAGES`` evenly spaced passages. Executors encode the sample; what reaches the driver is at most their product in rows of
-``WIDTH`` half-width numbers. Scoring covers every passage of every document, in blocks with a running softmax, so that memory doesn't grow with a text.
+The fit runs on the driver over a bounded sample: at most ``sample`` labelled documents (those of the smallest hashed ids), with
+every passage of each. Executors encode the sample; the driver takes it partition by partition into a file of its own temp folder, as rows of ``WIDTH``
+half-width numbers, and reads batches from there; a batch of many passages goes through in parts of ``PART`` passages or one document. Scoring covers every passage of every document, in blocks with a running softmax, so that memory doesn't grow with a text.
 
 Defined results: null and empty texts are one empty passage and get a score like any other; null labels don't count; an id with several labels
 is good if one is; without labels of both kinds the score is the share of good ones (1/2 without any). Ids, sources, languages and labels are no
@@ -16,6 +16,8 @@ input of a score. Rows that repeat are scored each; other columns are ignored or
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from pactframe.llm.common import extend, fresh_name, importable, map_rows
 
 PASSAGE, PAIRS, STATS = 512, 256, 12
 WIDTH = PAIRS + STATS
-SAMPLE, MOST_PASSAGES, BLOCK = 6_000, 64, 1_024
+SAMPLE, BLOCK, PART = 6_000, 1_024, 16_384
 HIDDEN, GATE, EPOCHS, RATE, BATCH = 32, 16, 12, 3e-3, 64
 
 # fixed byte classes: upper case, lower case, digit, symbol, sentence mark, other punctuation, white space, beyond ASCII
@@ -51,7 +53,7 @@ def borders(data: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], cuts, [n]])
 
 
-def encode(text: str | None, most: int | None = None) -> np.ndarray:
+def encode(text: str | None) -> np.ndarray:
     """A row for each passage."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     edge = borders(data)
@@ -80,8 +82,6 @@ def encode(text: str | None, most: int | None = None) -> np.ndarray:
         out[:, PAIRS + 9] = 8 * changes
         out[:, PAIRS + 10] = np.log1p(size) / 4
         out[:, PAIRS + 11] = np.log1p(n) / 8
-    if most is not None and p > most:
-        out = out[np.linspace(0, p - 1, most).round().astype(int)]
     return out
 
 
@@ -131,6 +131,25 @@ class Attention:
         return {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ da, "c": z.T @ d, "b": d.sum()}
 
 
+def batch_gradients(model: Attention, bags: list[np.ndarray], y: np.ndarray, pick: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean loss over the picked bags, in parts of ``PART`` rows or one bag."""
+    size = np.array([len(bags[j]) for j in pick])
+    part = np.zeros(len(pick), np.int64)
+    rows = 0
+    for i in range(len(pick)):
+        new = i > 0 and rows + size[i] > PART
+        rows = size[i] if new else rows + size[i]
+        part[i] = (part[i - 1] if i else 0) + new
+    out: dict[str, np.ndarray] = {}
+    for k in range(part[-1] + 1):
+        own = np.flatnonzero(part == k)
+        x = np.concatenate([bags[j] for j in pick[own]]).astype(np.float32)
+        got = model.gradients(x, np.repeat(np.arange(len(own)), size[own]), y[pick[own]].astype(np.float32))
+        share = np.float32(len(own) / len(pick))
+        out = {n: v * share + out.get(n, 0) for n, v in got.items()}
+    return out
+
+
 def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Attention:
     """Adam over shuffled batches."""
     prior = float(y.mean()) if len(y) else 0.5
@@ -140,9 +159,10 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Attention:
         return model
     rng = np.random.default_rng(seed)
     model = Attention(rng, prior)
-    every = np.concatenate(bags).astype(np.float32)
-    model.mean, model.spread = every.mean(0), every.std(0) + 0.05
-    del every
+    rows = sum(map(len, bags))
+    mean = sum(b.sum(0, dtype=np.float64) for b in bags) / rows
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / rows) + 0.05
+    model.mean, model.spread = mean.astype(np.float32), spread.astype(np.float32)
     m1 = {k: np.zeros_like(v) for k, v in model.parts.items()}
     m2 = {k: np.zeros_like(v) for k, v in model.parts.items()}
     step, n = 0, len(bags)
@@ -151,11 +171,9 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Attention:
         order = rng.permutation(n)
         for i in range(0, n, BATCH):
             pick = order[i : i + BATCH]
-            x = np.concatenate([bags[j] for j in pick]).astype(np.float32)
-            bag = np.repeat(np.arange(len(pick)), [len(bags[j]) for j in pick])
             step += 1
             rate = RATE * (1 - 0.95 * step / total)
-            for k, v in model.gradients(x, bag, y[pick].astype(np.float32)).items():
+            for k, v in batch_gradients(model, bags, y, pick).items():
                 if k in "EVUc":
                     v = v + 1e-4 * model.parts[k]
                 m1[k] = 0.9 * m1[k] + 0.1 * v
@@ -174,12 +192,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def run(parts):
         for part in parts:
-            yield {"id": part["id"], "y": part["y"], "x": [encode(t, MOST_PASSAGES).astype(np.float16).tobytes() for t in part["text"]]}
+            yield {"id": part["id"], "y": part["y"], "x": [encode(t).astype(np.float16).tobytes() for t in part["text"]]}
 
     # the sample is bounded, and so is its broadcast; of rows that repeat an id one is learned from
-    found = map_rows(rows.join(F.broadcast(ids), "id"), run, f"id {dict(ids.dtypes)['id']}, y int, x binary").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow().sort_by("id")
-    bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in found.column("x").to_pylist()]
-    return train(bags, np.array(found.column("y").to_pylist(), np.int64))
+    found = map_rows(rows.join(F.broadcast(ids), "id"), run, f"id {dict(ids.dtypes)['id']}, y int, x binary").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    with tempfile.TemporaryFile() as file:
+        known, at = [], 0  # (id, label, first row, rows)
+        for r in found.toLocalIterator():
+            file.write(r.x)
+            n = len(r.x) // (2 * WIDTH)
+            known.append((r.id, r.y, at, n))
+            at += n
+        file.flush()
+        known.sort(key=lambda r: r[0])
+        data = np.memmap(file, np.float16, "r", shape=(at, WIDTH)) if at else np.zeros((0, WIDTH), np.float16)
+        return train([data[first : first + n] for _, _, first, n in known], np.array([r[1] for r in known], np.int64))
 
 
 def scored(docs: DataFrame, model: Attention, text_col: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pactframe.llm.minhash import near_duplicates
 from pactframe.llm.quality_rules import RULES, binomial_tail, cutoffs, measure
 from pactframe.llm.token_count import count_tokens
 from pactframe.llm.urls import judge
+from pactframe.llm import mil
 from pactframe.llm.mil import encode, train
 
 DOCS = "doc_id long, text string, lang string, id string"
@@ -114,3 +115,24 @@ def test_undecided_urls_do_not_follow_the_rules(spark):
     assert len(got) == len(hosts) and all(r.rule is None for r in got)
     for r in got:
         assert r.verdict == ("block" if r.host.rsplit(".", 1)[0] in spam else "allow"), r
+
+
+def test_fit_learns_from_every_passage(spark, monkeypatch):
+    texts = ["good words here " * 9_000, "short text", "BAD!! " * 200, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i != 2)) for i in range(4)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(mil, "train", lambda bags, y, seed=7: seen.extend(np.array(b) for b in bags))
+    mil.fit(docs, labels)
+    assert len(seen[0]) > 64 and len(seen) == 4
+    for got, text in zip(seen, texts):
+        assert np.array_equal(got, encode(text).astype(np.float16))
+
+
+def test_gradients_in_parts(monkeypatch):
+    bags, y = [encode(t) for t in ["good words here " * 90, "BAD!! " * 200, "", "fine text " * 99]], np.array([1, 0, 1, 1])
+    model = train(bags, y)
+    whole = mil.batch_gradients(model, bags, y, np.array([2, 0, 3, 1]))
+    monkeypatch.setattr(mil, "PART", 2)
+    parts = mil.batch_gradients(model, bags, y, np.array([2, 0, 3, 1]))
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-5) for k in whole)
