@@ -136,3 +136,10 @@ def test_gradients_in_parts(monkeypatch):
     monkeypatch.setattr(mil, "PART", 2)
     parts = mil.batch_gradients(model, bags, y, np.array([2, 0, 3, 1]))
     assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-5) for k in whole)
+
+
+def test_package_says_how_many_operators_exist():
+    import pactframe.llm
+    from pactframe.llm.queries import queries
+
+    assert len(queries()) == 8 and "eight so far" in pactframe.llm.__doc__
