@@ -2,25 +2,30 @@
 
 Encoding. The last token of each prefix's encoding is the one vocabulary entry that ends the prefix and may follow the
 last token of what stands before it; two tokens may follow one another if merging their bytes by rank gives them back.
-A transducer state is what the rest of a piece can still depend on: the longest suffix that starts an entry (a trie
-node), the last token of every prefix since the last settled boundary, and the token before it. States and
-edges are made when first met and kept, so that a byte costs one look-up. A token is emitted as soon as every way to
-go on passes through its end; that takes no more lookahead than the longest entry has bytes.
+A transducer state is all that later bytes can depend on: the longest suffix that starts an entry (a node of the entries'
+trie), and the last token of the prefix before each place in it from which an entry may still start. What was read before has no part
+in it, so pieces share states. States and edges are made when first met and kept: a known byte costs one look-up and tells the last
+token so far. Tokens are emitted once every way to go on passes through their end; that place lies no further back than
+the bounded suffix, so the lookahead is bounded, and of a long piece no more than ``WINDOW`` bytes are held.
 
 Decoding. Tokens are joined in chunks; a UTF-8 state machine runs over the last bytes of each chunk and holds an
 unfinished character back for the next one.
 
 Pieces are the matches of the library's pattern. A piece that is an entry itself is that token, as in the library.
+A worker keeps at most ``STATES`` states (once so many are known, further ones are made, used and forgotten) and ``MEMO`` pieces.
 
 Defined results: null and empty texts have no tokens; whole texts count, however long; repeated rows give repeated
-rows; null ids stay null; other columns are ignored; empty tables give an empty result.
+rows; null ids stay null; other columns are ignored; empty tables give an empty result. Ids outside the vocabulary decode to no bytes;
+bytes that aren't UTF-8 (never those of a text's own ids) become U+FFFD in decoded text, but are hashed as they are.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,130 +33,132 @@ from pyspark.sql import functions as F
 
 from pactframe.llm.common import map_rows
 
-#: States and pieces a worker keeps; the longest piece that is kept; tokens decoded at a time.
-STATES, MEMO, MEMO_BYTES, CHUNK = 200_000, 600_000, 64, 65_536
+#: States, pairs of tokens and pieces a worker keeps; the longest piece that is kept; bytes of a piece held; tokens decoded at a time.
+STATES, FOLLOW, MEMO, MEMO_CHARS, WINDOW, CHUNK = 400_000, 1_000_000, 500_000, 48, 1_024, 4_096
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+def read_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Plain merging by rank, the leftmost pair first at a tie."""
+def merge(piece: bytes, ranks: dict[bytes, int], border: int = 0) -> list[bytes]:
+    """Plain merging by rank, the leftmost pair first at a tie. With a ``border`` it stops at a merge across that place."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(((r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None), default=None)
-        if best is None:
+    none = len(ranks) + 256
+    pairs = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
             break
-        i = best[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        i = pairs.index(best)
+        parts[i] += parts.pop(i + 1)
+        if border and sum(map(len, parts[:i])) < border < sum(map(len, parts[: i + 1])):
+            break
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
     return parts
 
 
 class State(dict):
-    """Edges by byte: (next state, token ids emitted)."""
+    """Edges by byte. ``node``: the suffix; ``back``: (bytes from a starting place to here, last token before it), longest first,
+    ending with this place itself; ``last``: that place's last token."""
 
-    __slots__ = ("before", "key", "node", "rest")
+    __slots__ = ("back", "last", "node")
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
         missing = [x for x in range(256) if bytes([x]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
+        self.size = {i: len(b) for b, i in ranks.items()}
         # trie over entries: every prefix of an entry is a node
-        self.prefixes = {b[:i] for b in ranks for i in range(len(b) + 1)}
-        self.follow: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
+        self.prefixes = {b[:i] for b in ranks for i in range(1, len(b) + 1)}
+        self.follow: dict[tuple[int | None, int], bool] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self.state(b"", None, ())
+        self.start = self.state(b"", ((0, None),))
 
-    def state(self, node: bytes, before: int | None, tokens: tuple[int, ...]) -> State:
-        key = (node, before, tokens)
+    def state(self, node: bytes, back: tuple) -> State:
+        key = (node, back)
         s = self.states.get(key)
         if s is None:
-            s = self.states[key] = State()
-            s.node, s.before, s.key = node, before, tokens
-            s.rest = self.back(tokens, len(tokens))
+            s = State()
+            s.node, s.back, s.last = node, back, back[-1][1]
+            if len(self.states) < STATES:
+                self.states[key] = s
         return s
 
     def may_follow(self, a: int | None, b: int) -> bool:
-        if a is None:
-            ok = self.alone.get(b)
-            if ok is None:
-                piece = self.bytes_of[b]
-                ok = self.alone[b] = merge(piece, self.ranks) == [piece]
-            return ok
         ok = self.follow.get((a, b))
         if ok is None:
-            if len(self.follow) > 2_000_000:
-                self.follow.clear()
-            x, y = self.bytes_of[a], self.bytes_of[b]
-            ok = self.follow[a, b] = merge(x + y, self.ranks) == [x, y]
+            y = self.bytes_of[b]
+            x = b"" if a is None else self.bytes_of[a]
+            ok = merge(x + y, self.ranks, len(x)) == ([x, y] if x else [y])
+            if len(self.follow) < FOLLOW:
+                self.follow[a, b] = ok
         return ok
 
-    def back(self, tokens: tuple[int, ...], at: int) -> tuple[int, ...]:
-        """The tokens from the boundary to place ``at``; ``tokens[p]`` is the last token of the prefix that ends at p + 1."""
-        out = []
-        while at:
-            t = tokens[at - 1]
-            out.append(t)
-            at -= len(self.bytes_of[t])
-        return tuple(reversed(out))
-
-    def step(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
+    def step(self, s: State, byte: int) -> State:
         """Make the edge of ``s`` for ``byte``."""
-        if len(self.states) > STATES:
-            self.states = {}  # states in use stay alive through what holds them
-            self.start = self.state(b"", None, ())
-        tokens, n = s.key, len(s.key) + 1
-        window = s.node + bytes([byte])
-        last = None
-        for at in range(len(window)):
-            t = self.ranks.get(window[at:])
-            if t is None:
-                continue
-            p = n - len(window) + at
-            if p >= 0 and self.may_follow(tokens[p - 1] if p else s.before, t):
-                last = t
-                break
+        window = s.node + bytes((byte,))
+        n = len(window)
+        last, kept = None, []
+        for size, before in s.back:
+            entry = window[n - size - 1 :]
+            if entry in self.prefixes:
+                kept.append((size + 1, before))
+                if last is None:
+                    t = self.ranks.get(entry)
+                    if t is not None and self.may_follow(before, t):
+                        last = t
+            elif last is None and entry in self.ranks:
+                raise AssertionError("an entry isn't its own prefix")
         if last is None:
             raise AssertionError("a prefix has no encoding")
-        tokens = (*tokens, last)
-        node = next(window[at:] for at in range(len(window) + 1) if window[at:] in self.prefixes)
-        # places from which a later token may start, and what all ways to them share
-        places = [n - len(node) + i for i in range(len(node)) if node[i:] in self.prefixes and n - len(node) + i >= 0] + [n]
-        common: set[int] | None = None
-        for p in places:
-            chain = {0}
-            while p:
+        made = self.state(window[n - kept[0][0] :] if kept else b"", (*kept, (0, last)))
+        if len(self.states) < STATES:
+            s[byte] = made
+        return made
+
+    def settled(self, path: list[State]) -> int:
+        """The last place that all ways to go on pass through."""
+        n, common = len(path), None
+        for size, _ in path[-1].back:
+            p, chain = n - size, set()
+            while p > 0:
                 chain.add(p)
-                p -= len(self.bytes_of[tokens[p - 1]])
+                p -= self.size[path[p - 1].last]
             common = chain if common is None else common & chain
-        settled = max(common)
-        out = self.back(tokens, settled)
-        s[byte] = made = (self.state(node, out[-1] if out else s.before, tokens[settled:]), out)
-        return made
+        return max(common, default=0)
+
+    def tokens(self, path: list[State], end: int) -> list[int]:
+        """Of the way that ends at a place."""
+        out = []
+        while end > 0:
+            t = path[end - 1].last
+            out.append(t)
+            end -= self.size[t]
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        out: list[int] = []
-        s = self.start
+        s, path, out = self.start, [], []
         for byte in piece:
-            s, told = s.get(byte) or self.step(s, byte)
-            if told:
-                out += told
-        out += s.rest
-        return out
+            s = s.get(byte) or self.step(s, byte)
+            path.append(s)
+            if len(path) == WINDOW:
+                at = self.settled(path)
+                out += self.tokens(path, at)
+                del path[:at]
+        return out + self.tokens(path, len(path)) if out else self.tokens(path, len(path))
 
 
 class Utf8:
@@ -197,19 +204,23 @@ class Utf8:
 class Codec(dict):
     """Piece of text -> its ids as little-endian 32-bit integers, filled on demand."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str):
         import regex
 
         super().__init__()
-        self.fst = Transducer(read_ranks(path))
+        self.fst = Transducer(read_ranks(ranks))
         self.find = regex.compile(pattern).findall
         self.vocab = [self.fst.bytes_of.get(i, b"") for i in range(max(self.fst.bytes_of, default=-1) + 1)]
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = np.array(self.fst.encode(data), "<u4").tobytes()
-        if len(data) <= MEMO_BYTES:
-            if len(self) >= MEMO:
+        ids = self.old.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8", "replace")
+            ids = array("I", self.fst.encode(data)).tobytes()
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO // 2:  # pieces not met again since the last turn go
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -218,45 +229,55 @@ class Codec(dict):
         return b"".join(map(self.__getitem__, self.find(text or "")))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+        n = len(self.vocab)
+        return b"".join([self.vocab[i] if 0 <= i < n else b"" for i in ids])
+
+    def stream(self, ids: bytes, chunk: int = CHUNK) -> Iterator[tuple[bytes, str]]:
+        """Bytes of each ``chunk`` ids, and the text that is certain with them."""
+        machine, all_ids = Utf8(), array("I", ids)
+        for i in range(0, len(all_ids), chunk):
+            data = self.decode_bytes(all_ids[i : i + chunk])
+            yield data, machine.feed(data)
+        yield b"", machine.close()
 
     def decode(self, ids: Iterable[int], chunk: int = CHUNK) -> Iterator[str]:
         """Text as it becomes certain."""
-        machine, part = Utf8(), []
-        for i in ids:
-            part.append(i)
-            if len(part) == chunk:
-                yield machine.feed(self.decode_bytes(part))
-                part = []
-        yield machine.feed(self.decode_bytes(part))
-        yield machine.close()
+        return (text for _, text in self.stream(array("I", ids).tobytes(), chunk))
 
 
-_loaded: dict[tuple[str, str], Codec] = {}
+_loaded: dict[tuple[bytes, str], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Codec(path, pattern)
-    return _loaded[path, pattern]
+def codec(ranks: bytes, pattern: str) -> Codec:
+    key = hashlib.sha256(ranks).digest(), pattern
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Codec(ranks, pattern)
+    return _loaded[key]
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids binary, decoded string]) of each row."""
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids binary, decoded string]) of each row. ``ranks`` is a path of the driver; its
+    content, a vocabulary's, goes to the executors."""
+    sent = docs.sparkSession.sparkContext.broadcast(Path(ranks).read_bytes())
 
     def run(parts):
-        c = codec(ranks, pattern)
+        c = codec(sent.value, pattern)
         for part in parts:
             out = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
             for text in part["text"]:
                 ids = c.encode(text)
-                text = "".join(c.decode(np.frombuffer(ids, "<u4").tolist()))
+                sha, texts = hashlib.sha256(), []
+                for data, piece in c.stream(ids):
+                    sha.update(data)
+                    if with_ids:
+                        texts.append(piece)
                 out["n_tokens"].append(len(ids) // 4)
                 out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+                out["decoded_sha256"].append(sha.hexdigest())
                 if with_ids:
                     out["ids"].append(ids)
-                    out["decoded"].append(text)
+                    out["decoded"].append("".join(texts))
             yield {id_col: part["id"], **out}
 
     kind = docs.schema[id_col].dataType.simpleString()
