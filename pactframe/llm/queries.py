@@ -28,7 +28,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactframe.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=5)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=5).drop("set_key")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
