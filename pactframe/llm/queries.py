@@ -62,6 +62,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from pactframe.llm.secrets import scan
+
+    found = scan(table(spark, sf_dir, "documents"), path_col="source")
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactframe.llm.topk import top_k
 
