@@ -78,6 +78,12 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactframe.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), length=4096, end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
