@@ -34,8 +34,14 @@ from pactframe.llm.common import map_rows, saved
 UNITS, GAP, MEMO, MEMO_CHARS, PART = 256, 1e-3, 500_000, 40, 65_536
 
 
+def byte_alphabet() -> dict[int, int]:
+    """How byte-level tokenizers write bytes: printable ones as themselves, the others as characters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip((b for b in range(256) if b not in printable), range(256, 512)))
+
+
 class Words(dict):
-    """Word -> ids as bytes. Words are what the tokenizer's own pattern finds in normalised text; it encodes each by itself."""
+    """Word -> ids as bytes. Words are what the tokenizer's own pattern finds in normalised text; its model merges each by itself."""
 
     #: Fixed value: the pattern of this kind of tokenizer.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,16 +62,19 @@ class Words(dict):
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         # any other kind of tokenizer gets whole texts
-        self.known = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": self.PATTERN} and split.get("invert") is True
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and spec["model"].get("unk_token") is None and split.get("pattern") == {"Regex": self.PATTERN} and split.get("invert") is True
         self.find, self.plain = regex.compile(self.PATTERN).findall, regex.compile(self.PLAIN).fullmatch
         self.space = regex.compile(r"\s").search
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.merge, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            # words of the pattern are normalised: the merges alone are left, over the byte alphabet
+            letters = word.encode().decode("latin-1").translate(self.alphabet)
+            ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO // 2:  # words not met again since the last turn go
                 self.old = dict(self)
