@@ -1,4 +1,4 @@
-"""Operators for preparing language-model training data: eight so far, each with its own method (secret scans, op8, and packing, op10, are not built).
+"""Operators for preparing language-model training data: ten of them, each with its own method (secret scans, op8, and packing, op10, are not built).
 
 Nothing else in the library imports this subpackage. Every operator takes and returns DataFrames
 and keeps only what its tasks need in memory; see the module docstrings for the defined results on
