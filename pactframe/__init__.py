@@ -1 +1,6 @@
-"""Declarative data contracts that run as Spark column expressions."""
+"""Declarative data contracts for DataFrames: normalised columns and structured errors, as Catalyst expressions."""
+
+from pactframe.contract import ALLOW_EXTRA, PREVENT_EXTRA, REMOVE_EXTRA, Contract
+from pactframe.plans.nodes import SchemaError
+
+__all__ = ["ALLOW_EXTRA", "PREVENT_EXTRA", "REMOVE_EXTRA", "Contract", "SchemaError"]
