@@ -35,7 +35,7 @@ from pactframe.llm.common import cut, importable, map_rows, saved
 #: Minima of a band; chance to miss a link at the threshold; bits kept; standard deviations given to the estimate.
 ROWS, MISS, BITS, SIGMAS = 5, 1e-7, 2, 6
 #: Words whose hashes a worker keeps; members and words of a block at most (one member may have more words); sets a task keeps while it confirms pairs.
-MEMO, BLOCK, WORDS, KEPT_SETS = 500_000, 256, 2**18, 32
+MEMO, BLOCK, WORDS, KEPT_SETS = 200_000, 256, 2**18, 32
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 

@@ -40,6 +40,8 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 RULES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
 GRIDS = {"symbols": [x / 200 for x in range(100, 0, -1)], "dup_lines": [x / 50 for x in range(49, 0, -1)], "repeats": [x / 200 for x in range(60, 0, -1)], "word_length": [40 * 0.97**x for x in range(60)]}
 RISK, DELTA, PENALTY = 0.02, 0.05, 10
+#: Rows of five columns that are broadcast at most.
+STRATA = 10_000
 
 
 def repeat_words(ids: np.ndarray) -> int:
@@ -201,7 +203,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def verdict(rows: DataFrame, found: DataFrame, stratum_col: str, m: str, name: str) -> DataFrame:
-    """``rows`` and a boolean ``name``: kept by base rules and cutoffs. ``found`` has a row per stratum."""
+    """``rows`` and a boolean ``name``: kept by base rules and cutoffs. ``found`` has a row per stratum; up to ``STRATA`` of them are broadcast, so that
+    the rows stay where they are, more are joined by stratum."""
+    found = cut(found)
+    if found.count() <= STRATA:
+        found = F.broadcast(found)
     other = found.select(F.struct("*").alias(fresh_name(rows, "__cutoffs")))
     c = other.columns[0]
     joined = rows.join(other, rows[stratum_col].eqNullSafe(other[f"{c}.stratum"]), "left")
