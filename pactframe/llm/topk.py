@@ -6,7 +6,7 @@ against all rows. A task multiplies its shard with the chunk tile by tile, selec
 tile, and merges them into the query's running list; the shards' lists are then merged in two levels.
 
 Products are exact: 32-bit floats while every sum stays below 2**24, 64-bit floats below 2**53, else
-64-bit integers (sums beyond 2**63 are outside the domain).
+64-bit integers (sums beyond 2**62 are outside the domain).
 
 Defined results: null ids, null vectors and vectors with null or non-finite components take no part, nor do
 empty ones; vectors of different lengths never meet. Ties go to the smaller id. Rows that carry the
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactframe.llm.common import importable
+from pactframe.llm.common import importable, saved
 
 #: Queries broadcast at once, queries and rows of a tile, groups of the first merging level.
 CHUNK, QUERY_TILE, ROW_TILE, FAN_IN = 32_768, 512, 8_192, 32
 SCALE = 256.0
+#: Stands for the score of a query's own row.
+LOWEST = -(2**62)
 
 
 def quantised(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -71,8 +73,8 @@ class Best:
         own = self.ids[at][:, None] == rows[None, :]
         s = scores.astype(np.int64)
         if s.shape[1] > 4 * k:  # partial selection: everything above the k-th score, then ties by place
-            key = np.where(own, np.iinfo(np.int64).min, s)
-            kth = -np.partition(-key[:, :], k - 1, axis=1)[:, k - 1] if key.min(initial=0) > -(2**62) else np.sort(key, axis=1)[:, -k]
+            key = np.where(own, LOWEST, s)
+            kth = -np.partition(-key, k - 1, axis=1)[:, k - 1]
             more = key > kth[:, None]
             tie = key == kth[:, None]
             take = more | (tie & (np.cumsum(tie, axis=1) <= k - more.sum(axis=1)[:, None]))
@@ -123,16 +125,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
     importable(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
-    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
+    # only vectors that take part may stand for their id
+    good = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    asked = saved(asked.filter(good).groupBy("id").agg(F.min("v").alias("v")))
     n = max(1, math.ceil(asked.count() / CHUNK))
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n)))
-    found = None
-    for c in range(n):  # each pass broadcasts about CHUNK queries, whatever their number
+    done = None
+    for c in range(n):  # each pass broadcasts about CHUNK queries and ends before the next, whatever their number
         got = asked.filter(F.col("chunk") == c).select("id", "v").toArrow()
         ids = got.column(0).to_numpy()
         chunk = spark.sparkContext.broadcast({m.shape[1]: (ids[r], m) for r, m in quantised(got.column(1))})
-        part = rows.mapInArrow(_scan(chunk, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+        part = _merged(rows.mapInArrow(_scan(chunk, k), "query_id long, vec_id long, score long"), k)
+        if n > 1:
+            part = saved(part)
+            chunk.unpersist()
+        done = part if done is None else done.unionByName(part)
+    return done
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The tasks' lists, merged in two levels."""
     found = found.withColumn("group", F.spark_partition_id() % FAN_IN)
     merged = _best(_best(found, k, "query_id", "group").drop("rank"), k, "query_id")
     return merged.select("query_id", "rank", "vec_id", "score")
