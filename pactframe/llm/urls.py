@@ -8,7 +8,7 @@ counts, hyphens, and statistics of the suffix, the first path segment and the ho
 the words the highest counts). Trees are grown on histograms of the features with second-order gains. Labelled URLs are whatever (url, blocked) rows
 the caller has; the registered query takes the fixed list of ``url_labels``, never the verdicts of its rules, as those tell nothing on the URLs that
 no rule decides. From the list, statistics are learned out of fold by host, so that trees see them as they are for unknown hosts. The fit runs on the driver over at most ``SAMPLE`` labelled URLs (the smallest hashes); scoring covers
-every row. Suffix tables hold at most ``TABLE`` entries, the most frequent ones of the sample; others get the mean.
+every row. Statistics cover every suffix, name, whole segment and word of the labelled URLs; unknown ones get the mean. A score of exactly 1/2 blocks.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule, and is judged like any other; whole URLs count; null labels
 don't count; without labels of both kinds the verdict is the kind there is, ``allow`` without any. Repeated rows give repeated rows; other columns are
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from pactframe.llm import url_labels
 from pactframe.llm.common import map_rows
 
-SAMPLE, TABLE = 20_000, 1_000
+SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAF, RIDGE = 60, 4, 0.15, 32, 20, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLDS = 5
+_LOWERED = str.maketrans(UPPER, LOWER)
 STATISTICS = ("suffix", "domain", "segment", "words")
 FEATURES = ("length", "host_length", "labels", "depth", "path_length", "digits", "letters", "hyphens", "host_digits", "entropy", "host_entropy", "parameters", "query_length", "fragment", "extension", "secure", "www", *STATISTICS)
 
@@ -77,7 +78,7 @@ def _parts(url: str | None) -> tuple[str, str, str, str, str]:
     rest, _, fragment = rest.partition("#")
     rest, _, query = rest.partition("?")
     name, slash, way = rest.partition("/")
-    return name.lower() if name.isascii() else name, slash + way, query, fragment, scheme
+    return name.translate(_LOWERED), slash + way, query, fragment, scheme
 
 
 def keys(url: str | None) -> tuple[str, str, str]:
@@ -85,7 +86,7 @@ def keys(url: str | None) -> tuple[str, str, str]:
     name, way, *_ = _parts(url)
     labels = name.rsplit(".", 2)
     segment = way.split("/", 2)[1] if "/" in way else ""
-    return labels[-1], ".".join(labels[-2:]), f"{labels[-1]} {segment[:24]}"
+    return labels[-1], ".".join(labels[-2:]), f"{labels[-1]} {segment}"
 
 
 def host_words(url: str | None) -> list[str]:
@@ -136,7 +137,7 @@ class Boosted:
         of = [[*([k] for k in keys(u)), host_words(u)] for u in urls]
         for i in range(len(self.tables)):  # block rates, shrunk to the mean
             n, hit = Counter(x for k in of for x in k[i]), Counter(x for k, v in zip(of, y) if v for x in k[i])
-            self.tables[i] = {k: (hit[k] + 10 * self.mean) / (c + 10) for k, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:TABLE]}
+            self.tables[i] = {k: (hit[k] + 10 * self.mean) / (c + 10) for k, c in n.items()}
 
     def fit(self, urls: Sequence[str | None], y: np.ndarray, groups: Sequence[str] | None = None) -> Boosted:
         """With ``groups`` (a text for each URL) trees are grown on rates learned from URLs of other groups."""
