@@ -153,7 +153,7 @@ def batch_gradients(model: Attention, bags: list[np.ndarray], y: np.ndarray, pic
 def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Attention:
     """Adam over shuffled batches."""
     prior = float(y.mean()) if len(y) else 0.5
-    if not 0 < prior < 1:
+    if not len(y) or not 0 < prior < 1:
         model = Attention(np.random.default_rng(seed), 0.5)
         model.parts["b"] = np.array(0.0 if not len(y) else (20.0 if prior else -20.0), np.float32)
         return model
