@@ -66,8 +66,8 @@ class Mapping(Node):
         probe_k = key_node.lower(Value(F.lit(None), v.type.keyType), inner).type
         probe_v = value_node.lower(Value(F.lit(None), v.type.valueType), inner).type
         done = ctx.bind(replace(v, col=F.transform(F.map_entries(v.col), entry)))
-        # of keys that become equal the last counts
-        fold = F.map_from_entries(F.transform(F.filter(done.col, lambda e, i: F.size(F.filter(F.slice(done.col, i + 2, F.size(done.col)), lambda o: o["key"] == e["key"])) == 0), lambda e: F.struct(e["key"], e["value"])))
+        # of keys that become equal the last counts; a key that became none has an error and no place
+        fold = F.map_from_entries(F.transform(F.filter(done.col, lambda e, i: e["key"].isNotNull() & (F.size(F.filter(F.slice(done.col, i + 2, F.size(done.col)), lambda o: o["key"] == e["key"])) == 0)), lambda e: F.struct(e["key"], e["value"])))
         return replace(done, col=fold, type=T.MapType(probe_k, probe_v), lists=[*v.lists, F.flatten(F.transform(done.col, lambda e: e["errors"]))])
 
     def fields_of(self, columns: dict[str, tuple[Column, T.DataType]], path: list[Column], level: int, ctx: Context):

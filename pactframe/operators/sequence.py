@@ -22,6 +22,11 @@ class Sequence(Node):
         self.dropped = [node(x.key) for x in items if isinstance(x, Remove)]
         self.items = [node(x) for x in items if not isinstance(x, Remove)]
 
+    def _checks(self, of: T.DataType, ctx: Context) -> bool:
+        """Whether the only element contract leaves items as they are."""
+        probe = F.lit(None)
+        return self.items[0].lower(Value(probe, of), ctx).col is probe
+
     def lower(self, v: Value, ctx: Context) -> Value:
         if not isinstance(v.type, T.ArrayType):
             return replace(v, errors=[*v.errors, v.failed(F.lit(True), "not_a_sequence", "expected_sequence")])
@@ -46,6 +51,11 @@ class Sequence(Node):
                     value, errors = F.when(t.ok, t.col).otherwise(value), F.when(t.ok, F.array().cast(ERRORS)).otherwise(errors)
             return F.struct(value.alias("value"), F.when(gone, F.array().cast(ERRORS)).otherwise(errors).alias("errors"), gone.alias("gone"))
 
+        if len(self.items) == 1 and not self.dropped and not self.distinct and self._checks(of, inner):
+            # items stay as they are: one boolean pass, and details only where an item fails
+            bad = F.exists(v.col, lambda c: ~self.items[0].guarded(Value(c, of), inner).ok)
+            told = F.flatten(F.transform(v.col, lambda c, i: one(c, i)["errors"]))
+            return replace(v, lists=[*v.lists, F.when(bad, told).otherwise(F.array().cast(ERRORS))])
         done = ctx.bind(replace(v, col=F.transform(v.col, one)))
         lists = F.flatten(F.transform(done.col, lambda x: x["errors"]))
         kept = F.filter(done.col, lambda x: ~x["gone"]) if self.dropped else done.col
