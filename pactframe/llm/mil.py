@@ -7,7 +7,7 @@ document labels alone.
 
 The fit runs on the driver over a bounded sample: at most ``sample`` labelled documents (those of the smallest hashed ids), with
 every passage of each. Executors encode the sample; the driver takes it partition by partition into a file of its own temp folder, as rows of ``WIDTH``
-half-width numbers, and reads batches from there; a batch of many passages goes through in parts of ``PART`` passages or one document. Scoring covers every passage of every document, in blocks with a running softmax, so that memory doesn't grow with a text.
+half-width numbers, and reads batches from there; a batch of many passages goes through in parts of ``PART`` passages or one document. Scoring covers every passage of every document, in blocks with a running softmax: besides a block, a few bytes for each byte of the text are held (its bytes, their classes, and windows at word beginnings).
 
 Defined results: null and empty texts are one empty passage and get a score like any other; null labels don't count; an id with several labels
 is good if one is; without labels of both kinds the score is the share of good ones (1/2 without any). Ids, sources, languages and labels are no
@@ -17,6 +17,7 @@ input of a score. Rows that repeat are scored each; other columns are ignored or
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -53,36 +54,49 @@ def borders(data: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], cuts, [n]])
 
 
-def encode(text: str | None) -> np.ndarray:
-    """A row for each passage."""
+def encoded(text: str | None, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """A row for each passage, ``block`` of them at a time."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     edge = borders(data)
     p, n = len(edge) - 1, len(data)
-    out = np.zeros((p, WIDTH), np.float32)
-    if n:
-        size = np.diff(edge).astype(np.float32)
-        of = np.repeat(np.arange(p), np.diff(edge))
-        pair = (data[:-1].astype(np.int64) * 31 + data[1:] * 7) % PAIRS
-        out[:, :PAIRS] = 16 * np.sqrt(np.bincount(of[1:] * PAIRS + pair, minlength=p * PAIRS).reshape(p, PAIRS) / size[:, None])
-        kind = _CLASS[data]
-        shares = np.bincount(of * 8 + kind, minlength=p * 8).reshape(p, 8) / size[:, None]
-        # repetition: of windows of 16 bytes that a hash picks, those seen before in the text
-        starts = np.flatnonzero((kind[1:] != 6) & (kind[:-1] == 6)) + 1
-        starts = starts[starts + 16 <= n]
-        seen, changes = np.zeros(p), np.zeros(p)
-        if len(starts):
-            wide = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 16)[starts]).view(np.uint64)
-            keys = wide[:, 0] * np.uint64(0x9E3779B97F4A7C15) + wide[:, 1]
-            again = np.ones(len(keys))
-            again[np.unique(keys, return_index=True)[1]] = 0
-            seen = np.bincount(of[starts], weights=again, minlength=p) / np.maximum(1, np.bincount(of[starts], minlength=p))
-            changes = np.bincount(of[starts], minlength=p) / size
+    if not n:
+        yield np.zeros((p, WIDTH), np.float32)
+        return
+    kind = _CLASS[data]
+    # repetition: of windows of 16 bytes at the beginnings of words, those seen before in the text
+    starts = np.flatnonzero((kind[1:] != 6) & (kind[:-1] == 6)) + 1
+    starts = starts[starts + 16 <= n]
+    seen, begun = np.zeros(p), np.zeros(p)
+    if len(starts):
+        wide = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 16)[starts]).view(np.uint64)
+        keys = wide[:, 0] * np.uint64(0x9E3779B97F4A7C15) + wide[:, 1]
+        again = np.ones(len(keys))
+        again[np.unique(keys, return_index=True)[1]] = 0
+        place = np.searchsorted(edge, starts, side="right") - 1
+        begun = np.bincount(place, minlength=p).astype(float)
+        seen = np.bincount(place, weights=again, minlength=p) / np.maximum(1, begun)
+    for first in range(0, p, block):
+        own = edge[first : first + block + 1]
+        m, low, high = len(own) - 1, int(own[0]), int(own[-1])
+        size = np.diff(own).astype(np.float32)
+        of = np.repeat(np.arange(m), np.diff(own))
+        out = np.zeros((m, WIDTH), np.float32)
+        # a pair belongs to the passage of its second byte
+        before = data[max(0, low - 1) : high].astype(np.int64)
+        pair = (before[:-1] * 31 + before[1:] * 7) % PAIRS
+        out[:, :PAIRS] = 16 * np.sqrt(np.bincount(of[len(of) - len(pair) :] * PAIRS + pair, minlength=m * PAIRS).reshape(m, PAIRS) / size[:, None])
+        shares = np.bincount(of * 8 + kind[low:high], minlength=m * 8).reshape(m, 8) / size[:, None]
         out[:, PAIRS : PAIRS + 8] = 4 * shares
-        out[:, PAIRS + 8] = 4 * seen
-        out[:, PAIRS + 9] = 8 * changes
+        out[:, PAIRS + 8] = 4 * seen[first : first + m]
+        out[:, PAIRS + 9] = 8 * begun[first : first + m] / size
         out[:, PAIRS + 10] = np.log1p(size) / 4
         out[:, PAIRS + 11] = np.log1p(n) / 8
-    return out
+        yield out
+
+
+def encode(text: str | None) -> np.ndarray:
+    """A row for each passage."""
+    return np.concatenate(list(encoded(text)))
 
 
 class Attention:
@@ -104,10 +118,9 @@ class Attention:
         return x, h, t, g, (t * g) @ p["w"]
 
     def score(self, text: str | None) -> float:
-        rows = encode(text)
         top, mass, z = -np.inf, 0.0, np.zeros(HIDDEN)
-        for i in range(0, len(rows), BLOCK):
-            _, h, _, _, a = self.passages(rows[i : i + BLOCK])
+        for rows in encoded(text):
+            _, h, _, _, a = self.passages(rows)
             new = max(top, float(a.max()))
             w = np.exp(a.astype(np.float64) - new)
             fade = np.exp(top - new)
