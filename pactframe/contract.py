@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+import functools
+import inspect
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +16,39 @@ from pactframe.operators.markers import Optional, Required
 from pactframe.operators.rules import Rule
 from pactframe.plans.nodes import ERRORS, Context, SchemaError
 
-__all__ = ["ALLOW_EXTRA", "PREVENT_EXTRA", "REMOVE_EXTRA", "Contract"]
+__all__ = ["ALLOW_EXTRA", "PREVENT_EXTRA", "REMOVE_EXTRA", "Contract", "ContractError", "rendered", "validated"]
+
+
+class ContractError(ValueError):
+    """Rows broke a contract that all of them must keep."""
+
+
+def rendered(errors: str = "errors") -> Column:
+    """An array of errors as one text, a line each: path, key and code. Nothing of the values is in it."""
+    path = lambda e: F.when(F.size(e["path"]) > 0, F.regexp_replace(F.array_join(e["path"], "."), r"\.\[", "[")).otherwise("<row>")
+    return F.array_join(F.transform(errors, lambda e: F.concat(path(e), F.lit(": "), e["key"], F.lit(" ("), e["code"], F.lit(")"))), "\n")
+
+
+def validated(returns: Contract | None = None, **contracts: Contract):
+    """Decorates a function over DataFrames: arguments are checked and normalised by name, and so is what it returns."""
+
+    def wrap(fn):
+        signature = inspect.signature(fn)
+        if unknown := contracts.keys() - signature.parameters.keys():
+            raise SchemaError(f"no parameter {sorted(unknown)}")
+
+        @functools.wraps(fn)
+        def run(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            for name, c in contracts.items():
+                if name in bound.arguments:
+                    bound.arguments[name] = c.check(bound.arguments[name])
+            out = fn(*bound.args, **bound.kwargs)
+            return out if returns is None else returns.check(out)
+
+        return run
+
+    return wrap
 
 
 class Contract:
@@ -91,6 +126,18 @@ class Contract:
             df = df.withColumns(stage)
         return df, out, errors, lists
 
+    def suggestions(self, df: DataFrame) -> dict[str, list[str]]:
+        """For each column the contract doesn't know, its keys that are written alike."""
+        known = [n for marker, _, _ in self.root.fields for n in (Mapping._several(marker) or marker.names())]
+        return {c: difflib.get_close_matches(c, known) for c in df.columns if c not in known}
+
+    def check(self, df: DataFrame, most: int = 20) -> DataFrame:
+        """``df`` normalised if all of it is valid, else ``ContractError`` with the counts of at most ``most`` kinds of errors. Reads ``df`` once more."""
+        found = self.report(df).orderBy(F.desc("n"), "path", "code").limit(most).collect()
+        if found:
+            raise ContractError("; ".join(f"{r.path or '<row>'}: {r.code} ({r.n})" for r in found))
+        return self.apply(df).drop("errors")
+
     @staticmethod
     def _array(errors: list[Column], lists: list[Column]) -> Column:
         found = F.filter(F.array(*errors).cast(ERRORS), lambda e: e.isNotNull()) if errors else F.array().cast(ERRORS)
