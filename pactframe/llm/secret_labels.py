@@ -16,7 +16,7 @@ SYLLABLES = "the and tion ing ent er re on an st he in th ver ung keit lich sch
 TELLING = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_token", "SECRET_KEY", "API_TOKEN", "credential"]
 HARMLESS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "etag", "revision", "fingerprint", "integrity", "uuid", "build", "version", "order number", "serial", "card", "account", "invoice"]
 PATHS = ["", "", "src/app/settings.py", "config/prod.yml", "deploy/.env", "src0", "src7", "tests/test_login.py", "docs/example.md"]
-EACH = 90
+EACH = 150
 
 
 def labelled(seed: int = 3, each: int = EACH) -> list[tuple[str, str, bool]]:
@@ -53,6 +53,8 @@ def labelled(seed: int = 3, each: int = EACH) -> list[tuple[str, str, bool]]:
         "assigned base64": lambda: assigned(pick(TELLING), text64(int(rng.integers(15, 48)))),
         "word with digits": lambda: assigned(pick(["password", "passwd", "pwd"]), word().capitalize()[:8] + draw(DIGITS, 3) + pick("!?#$")),
         "cloud key": lambda: pick(["AKIA", "ASIA"]) + draw(UPPER + DIGITS, 16),
+        # their alphabet has 26 letters and 6 digits: one in thirty has no digit at all
+        "cloud key without digits": lambda: pick(["AKIA", "ASIA"]) + draw(UPPER, 16),
         "cloud key of few letters": lambda: "AKIA" + draw(UPPER + DIGITS, 11) + pick(UPPER) * 5,
         "hosting token": lambda: pick(["ghp_", "gho_", "ghs_"]) + draw(MIXED, 36),
         "payment key": lambda: pick(["sk_live_", "rk_live_"]) + draw(MIXED, 24),
@@ -65,9 +67,9 @@ def labelled(seed: int = 3, each: int = EACH) -> list[tuple[str, str, bool]]:
         "near a telling word": lambda: f"the {pick(TELLING)} is {draw(MIXED, int(rng.integers(20, 44)))}",
     }
     others = {
-        "long word": lambda: "".join(pick(SYLLABLES) for _ in range(7)),
-        "long word, title": lambda: "".join(pick(SYLLABLES) for _ in range(7)).capitalize(),
-        "long word, upper": lambda: "".join(pick(SYLLABLES) for _ in range(7)).upper(),
+        "long word": lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(4, 10)))),
+        "long word, title": lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(4, 10)))).capitalize(),
+        "long word, upper": lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(4, 10)))).upper(),
         "joined words": lambda: "-".join(prose(5).split()),
         "snake name": lambda: "_".join(prose(4).split()) + "_" + word(),
         "digits": lambda: draw(DIGITS, int(pick([16, 16, 17, 18, 20]))),

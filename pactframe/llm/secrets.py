@@ -27,7 +27,7 @@ from pactframe.llm.common import fresh_name
 from pactframe.llm.secret_labels import labelled
 
 #: Characters of a run; of context looked at on either side; labelled findings learned from at most; trees, their depth and the rows of a leaf.
-RUN, AROUND, SAMPLE, TREES, DEPTH, LEAF = 16, 48, 20_000, 20, 6, 3
+RUN, AROUND, SAMPLE, TREES, DEPTH, LEAF = 16, 48, 20_000, 30, 8, 2
 CUTOFF = 0.5
 
 # Telling names, token characters, and the pattern of candidates.
