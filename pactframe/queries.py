@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactframe import ALLOW_EXTRA, REMOVE_EXTRA, Contract
+from pactframe import ALLOW_EXTRA, REMOVE_EXTRA, Contract, function_queries
 from pactframe import functions as f
 from pactframe.operators import rules as r
 from pactframe.operators.combinators import All, Any, Maybe, Msg, SomeOf, TaggedUnion, Union
 from pactframe.operators.markers import Alias, Exclusive, Extra, Forbidden, Inclusive, Optional, Remove, Required, Secret
 from pactframe.operators.rules import transitions
 from pactframe.operators.sequence import ExactSequence, Unordered
+from pactframe.registry import QUERIES, SQL, counted, either, query, t
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def wrap(fn):
-        QUERIES[fn.__name__], SQL[fn.__name__] = fn, sql
-        return fn
-
-    return wrap
-
-
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def counted(*parts: tuple[str, str, str, str]) -> str:
-    """SQL of a report: (path, code, condition, table)."""
-    return "select path, code, count(*)::bigint as n from (" + " union all ".join(f"select '{p}' as path, '{c}' as code from {tab} where {cond}" for p, c, cond, tab in parts) + ") group by path, code"
-
+__all__ = ["QUERIES", "SQL", "function_queries"]
 
 CUSTOMER = {Required("c_custkey"): All(int, f.Positive()), Required("c_name"): f.Match(r"Customer#\d{9}"), Required("c_nationkey"): f.Range(0, 20), Required("c_acctbal"): f.Range(min=0), Required("c_mktsegment"): f.In(["BUILDING", "MACHINERY"])}
 
@@ -193,12 +172,7 @@ def customer_string_transforms(spark, sf):
 
 @query(counted(("email", "email", "page_id % 3 = 0", "pages"), ("ip", "ip", "page_id % 5 = 0", "pages"), ("url", "url", "url is not null and not regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+')", "pages"), ("slug", "slug", "page_id % 7 = 0", "pages"), ("uuid", "uuid", "page_id % 2 = 0", "pages"), ("day", "date", "page_id % 4 = 0", "pages"), ("card", "credit_card", "page_id % 6 = 0", "pages"), ("iban", "iban", "page_id % 9 = 0", "pages"), ("port", "range", "page_id % 8 = 0", "pages")))
 def pages_formats(spark, sf):
-    k = F.col("page_id")
-
-    def either(n, bad, good):
-        return F.when(k % n == 0, F.lit(bad)).otherwise(F.lit(good))
-
-    d = t(spark, sf, "pages").select("url", either(3, "a..b@x.org", "a.b@x.org").alias("email"), either(5, "256.1.1.1", "10.0.0.1").alias("ip"), either(7, "-a", "a-b").alias("slug"), either(2, "123", "12345678-1234-4234-8234-123456789abc").alias("uuid"), either(4, "2024-02-30", "2024-2-9").alias("day"), either(6, "4111111111111112", "4111 1111 1111 1111").alias("card"), either(9, "GB82WEST12345698765431", "GB82 WEST 1234 5698 7654 32").alias("iban"), either(8, "70000", "443").alias("port"))
+    d = t(spark, sf, "pages").select("url", either("page_id", 3, "a..b@x.org", "a.b@x.org").alias("email"), either("page_id", 5, "256.1.1.1", "10.0.0.1").alias("ip"), either("page_id", 7, "-a", "a-b").alias("slug"), either("page_id", 2, "123", "12345678-1234-4234-8234-123456789abc").alias("uuid"), either("page_id", 4, "2024-02-30", "2024-2-9").alias("day"), either("page_id", 6, "4111111111111112", "4111 1111 1111 1111").alias("card"), either("page_id", 9, "GB82WEST12345698765431", "GB82 WEST 1234 5698 7654 32").alias("iban"), either("page_id", 8, "70000", "443").alias("port"))
     return Contract({"url": f.Url(), "email": f.Email(), "ip": f.IPAddress(), "slug": f.Slug(), "uuid": f.UUID(version=4), "day": f.Date(), "card": f.CreditCard(), "iban": f.IBAN(), "port": f.Port()}).report(d)
 
 
