@@ -19,11 +19,11 @@ from pactframe.operators.combinators import All, Any, Maybe, Msg, SomeOf, Tagged
 from pactframe.operators.mapping import ALLOW_EXTRA, PREVENT_EXTRA, Mapping
 from pactframe.operators.markers import UNDEFINED, Alias, Exclusive, Forbidden, Inclusive, Optional, Required
 from pactframe.operators.sequence import ExactSequence, Sequence
-from pactframe.plans.nodes import Check, Context, EnumNode, LiteralNode, Node, SchemaError, Transform, TypeNode, Value, integral, node, numeric
+from pactframe.plans.nodes import Check, Context, EnumNode, LiteralNode, Node, SchemaError, Self, Transform, TypeNode, Value, integral, node, numeric
 
 DEPTH = 100
 # Keywords that narrow a schema and that contracts can't express.
-REFUSED = {"if", "propertyNames", "patternProperties", "dependentSchemas", "dependencies", "unevaluatedProperties", "unevaluatedItems", "$ref", "$dynamicRef", "$recursiveRef"}
+REFUSED = {"if", "propertyNames", "patternProperties", "dependentSchemas", "dependencies", "unevaluatedProperties", "unevaluatedItems", "$dynamicRef", "$recursiveRef"}
 FORMATS = {"email": f.Email, "uri": f.Url, "url": f.Url, "date-time": f.AsDatetime, "date": f.Date, "time": f.Time, "ipv4": f.IPv4Address, "ipv6": f.IPv6Address, "uuid": f.UUID, "hostname": f.Hostname, "byte": f.Base64}
 FORMAT_OF = {"expected_email_address": "email", "expected_url": "uri", "Date": "date", "Time": "time", "expected_ipv4": "ipv4", "IPv6Address": "ipv6", "UUID": "uuid", "Hostname": "hostname", "AsDatetime": "date-time", "AsDate": "date"}
 
@@ -60,13 +60,14 @@ class JsonType(Node):
 
 def from_json_schema(doc: dict) -> Contract:
     """A contract of an object schema."""
-    made = _decode(doc, 0)
+    made = _decode(_inlined(doc, doc, ()), 0)
     if not isinstance(made, Mapping):
         made = next((b for b in getattr(made, "branches", []) if isinstance(b, Mapping)), None)
     if made is None:
         raise SchemaError("the schema of a row is an object")
     out = Contract({})
     out.root = made
+    made.bound = True
     return out
 
 
@@ -75,6 +76,28 @@ def from_openapi(doc: dict) -> Contract:
     return from_json_schema(doc)
 
 
+def _inlined(doc: Anything, root: dict, above: tuple[str, ...]) -> Anything:
+    """``doc`` with what local references point to in their place. One to the whole document stays, others mustn't lead back to themselves."""
+    if isinstance(doc, list):
+        return [_inlined(x, root, above) for x in doc]
+    if not isinstance(doc, dict):
+        return doc
+    ref = doc.get("$ref")
+    if not isinstance(ref, str) or ref == "#":
+        return {k: x if k in ("const", "enum", "default") else _inlined(x, root, above) for k, x in doc.items() if k not in ("$defs", "definitions")}
+    if ref in above or len(above) > DEPTH:
+        raise SchemaError(f"only the whole document may hold itself: {ref}")
+    target: Anything = root
+    for part in ref.removeprefix("#/").split("/") if ref.startswith("#/") else [None]:
+        part = part and part.replace("~1", "/").replace("~0", "~")
+        if not isinstance(target, dict) or part not in target:
+            raise SchemaError(f"nothing at {ref}")
+        target = target[part]
+    target = _inlined(target, root, (*above, ref))
+    others = _inlined({k: x for k, x in doc.items() if k != "$ref"}, root, above)
+    return {"allOf": [target, others]} if others else target
+
+
 def _decode(doc: Anything, depth: int) -> Node:
     if depth > DEPTH:
         raise SchemaError("nested too deeply")
@@ -84,6 +107,10 @@ def _decode(doc: Anything, depth: int) -> Node:
         return Not(object)
     if not isinstance(doc, dict):
         raise SchemaError(f"no schema: {doc!r}")
+    if doc.get("$ref") == "#":
+        if len(doc) > 1:
+            raise SchemaError("a reference to the whole document stands alone")
+        return Self
     if refused := REFUSED & doc.keys():
         raise SchemaError(f"not supported: {sorted(refused)}")
     parts: list[Node] = []
@@ -253,6 +280,8 @@ def _encode(n: Node, strict: bool, dialect: str) -> dict:
 
     if isinstance(n, Mapping):
         return _encode_object(n, strict, dialect)
+    if n is Self:
+        return {"$ref": "#"}
     if isinstance(n, TypeNode):
         name = {str: "string", int: "integer", float: "number", bool: "boolean", list: "array", dict: "object"}.get(n.kind)
         return {"type": name} if name else {}

@@ -65,6 +65,7 @@ class Contract:
         if not isinstance(schema, dict):
             raise SchemaError("a contract is a mapping of keys to contracts")
         self.root, self.rules = Mapping(schema, required, extra), list(rules)
+        self.root.bound = True
 
     def __eq__(self, other: object) -> bool:
         return isinstance(other, Contract) and (self.root.schema, self.root.required, self.root.extra) == (other.root.schema, other.root.required, other.root.extra)
@@ -78,6 +79,7 @@ class Contract:
         """This contract and another, which counts where both have a key."""
         out = Contract({})
         out.root = self.root.extended(schema.root if isinstance(schema, Contract) else schema, required, extra)
+        out.root.bound = True
         out.rules = [*self.rules, *(schema.rules if isinstance(schema, Contract) else [])]
         return out
 
@@ -117,7 +119,7 @@ class Contract:
         return cls(of(schema))
 
     def _lowered(self, df: DataFrame):
-        ctx = Context()
+        ctx = Context(root=self.root)
         columns = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
         out, kinds, errors, lists, _, _ = self.root.fields_of(columns, [], 0, ctx)
         for rule in self.rules:

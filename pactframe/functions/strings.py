@@ -100,21 +100,21 @@ Url = _own(r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", "url", "expected_url")
 FqdnUrl = _own(r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*\.[^/?#]*", "url", "expected_fqdn_url")
 
 
-def _change(fn):
+def _change(name, fn):
     """A transform of the value as text."""
 
     def rule(c, t):
         return fn(F.when(c, "True").otherwise("False") if isinstance(t, T.BooleanType) else c.cast("string")), STRING, None
 
-    rule.__name__ = "change"
+    rule.__name__ = name
     return transform("value")(rule)
 
 
-Lower, Upper = _change(F.lower), _change(F.upper)
-Capitalize = _change(lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 2**31 - 1))))
-Strip = _change(lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", ""))
+Lower, Upper = _change("Lower", F.lower), _change("Upper", F.upper)
+Capitalize = _change("Capitalize", lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 2**31 - 1))))
+Strip = _change("Strip", lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", ""))
 #: Words are runs of letters: each begins upper case, what follows in it is lower case.
-Title = _change(lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?U)(\p{L}+|[^\p{L}]+)"), F.lit(1)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))), ""))
+Title = _change("Title", lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?U)(\p{L}+|[^\p{L}]+)"), F.lit(1)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))), ""))
 
 
 @transform("value", "expected_string")

@@ -48,8 +48,11 @@ def Date(c, t, format="%Y-%m-%d"):
 
 
 @check("time", "expected_time")
-def Time(c, t):
-    """H:M:S."""
+@verified(_format)
+def Time(c, t, format="%H:%M:%S"):
+    """Text of a format."""
+    if format != "%H:%M:%S" and text(t):
+        return F.try_to_timestamp(c, F.lit(spark_format(format))).isNotNull()
     return c.rlike(r"\A(?:[01]?\d|2[0-3]):[0-5]?\d:(?:[0-5]?\d|6[01])\z") if text(t) else F.lit(False)
 
 
@@ -63,8 +66,12 @@ def _dashed(c):
 
 
 @transform("datetime", "expected_iso_datetime")
-def AsDatetime(c, t, require_timezone=False):
-    """ISO 8601 text as an instant; timestamps stay. An offset is told from the text."""
+@verified(_format)
+def AsDatetime(c, t, format=None, require_timezone=False):
+    """ISO 8601 text, or text of a format, as an instant; timestamps stay. An offset is told from the text, or the format."""
+    if format is not None and text(t):
+        out = F.try_to_timestamp(c, F.lit(spark_format(format)))
+        return out, T.TimestampType(), out.isNotNull() & F.lit(not require_timezone or "%z" in format)
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         return c, t, F.lit(not require_timezone or isinstance(t, T.TimestampType))
     if not text(t):
@@ -75,8 +82,12 @@ def AsDatetime(c, t, require_timezone=False):
 
 
 @transform("date", "expected_iso_date")
-def AsDate(c, t):
-    """ISO 8601 text as a date; dates stay, timestamps aren't dates."""
+@verified(_format)
+def AsDate(c, t, format=None):
+    """ISO 8601 text, or text of a format, as a date; dates stay, timestamps aren't dates."""
+    if format is not None and text(t):
+        out = F.try_to_timestamp(c, F.lit(spark_format(format))).cast("date")
+        return out, T.DateType(), out.isNotNull()
     if isinstance(t, T.DateType):
         return c, t, None
     if not text(t):
@@ -85,6 +96,21 @@ def AsDate(c, t):
     return out, T.DateType(), out.isNotNull()
 
 
+@transform("time", "expected_iso_time")
+@verified(_format)
+def AsTime(c, t, format=None):
+    """ISO 8601 text, or text of a format, as text HH:mm:ss.SSSSSS: Spark's own type of times is off by default. An offset is told to be right and left out."""
+    if not text(t):
+        return c, t, F.lit(False)
+    if format is not None:
+        at = F.try_to_timestamp(c, F.lit(spark_format(format)))
+    else:
+        digits = F.rpad(F.regexp_replace(F.regexp_replace(c, rf"{ZONE}\z", ""), r"[:]|[.,].*", ""), 6, "0")
+        part = F.rpad(F.left(F.regexp_extract(c, r"[.,](\d+)", 1), F.lit(6)), 6, "0")
+        at = F.when(c.rlike(rf"\A{ISO_TIME}{ZONE}?\z"), F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), digits, part), F.lit("yyyy-MM-dd HHmmssSSSSSS")))
+    return F.date_format(at, "HH:mm:ss.SSSSSS"), T.StringType(), at.isNotNull()
+
+
 CLOCK = r"\A([+-]?)(\d+):([0-5]?\d)(?::([0-5]?\d(?:\.\d+)?))?\z"
 ISO_DURATION = r"\A([+-]?)P(?=\d|T\d)(?:(\d+(?:\.\d+)?)W)?(?:(\d+(?:\.\d+)?)D)?(?:T(?=\d)(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?\z"
 

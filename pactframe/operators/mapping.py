@@ -21,6 +21,9 @@ PREVENT_EXTRA, ALLOW_EXTRA, REMOVE_EXTRA = 0, 1, 2
 
 
 class Mapping(Node):
+    #: Whether ``Self`` inside stands for this mapping.
+    bound = False
+
     def __init__(self, schema: dict, required: bool = False, extra: int = PREVENT_EXTRA):
         self.schema, self.required, self.extra = schema, required, extra
         self.fields: list[tuple[Marker, Node, bool]] = []
@@ -41,6 +44,8 @@ class Mapping(Node):
         return repr(self.schema)
 
     def lower(self, v: Value, ctx: Context) -> Value:
+        if self.bound:
+            ctx = replace(ctx, root=self)
         if isinstance(v.type, T.MapType):
             return self._map(v, ctx)
         if not isinstance(v.type, T.StructType):
@@ -54,7 +59,7 @@ class Mapping(Node):
         """Each key and value against the contract's type key; items that fail keep their place."""
         if not self.typed:
             raise SchemaError("a map column needs a type key")
-        inner = Context(inline=True)
+        inner = ctx.inside()
         key_node, value_node = self.typed
 
         def entry(e: Column) -> Column:

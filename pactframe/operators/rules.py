@@ -130,6 +130,16 @@ class WriteOnce(Immutable):
     once = True
 
 
+def against(df: DataFrame, before: DataFrame, rules: list[Immutable], *, key: str, name: str = "errors") -> DataFrame:
+    """``df`` and the errors of each row against the row of its key in ``before``, a snapshot with one row a key at most. One join on the key, of the
+    rules' fields only; rows whose key is new or null have nothing to break. However many rows of ``df`` share a key, none waits for another."""
+    fields = sorted({f for r in rules for f in r.fields})
+    old = before.select(F.col(key).alias("__key"), F.struct(*fields).alias("__before"))
+    both = df.join(old, df[key] == F.col("__key"), "left")
+    found = F.array(*[e for r in rules for e in r.errors(F.col, lambda f: F.col("__before")[f])]).cast(ERRORS)
+    return both.withColumn(name, F.filter(found, lambda e: e.isNotNull())).drop("__before", "__key")
+
+
 def transitions(df: DataFrame, rules: list[Immutable], *, key: str, order: list[str], name: str = "errors") -> DataFrame:
     """``df`` and the errors of each row against the one before it of its key. Rows of a key are ordered in one task: a key must fit there."""
     w = Window.partitionBy(key).orderBy(*order)

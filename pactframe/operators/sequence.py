@@ -30,7 +30,7 @@ class Sequence(Node):
     def lower(self, v: Value, ctx: Context) -> Value:
         if not isinstance(v.type, T.ArrayType):
             return replace(v, errors=[*v.errors, v.failed(F.lit(True), "not_a_sequence", "expected_sequence")])
-        inner, of = Context(inline=True), v.type.elementType
+        inner, of = ctx.inside(), v.type.elementType
         kind = of
         for x in self.items:
             kind = x.lower(Value(F.lit(None), of), inner).type
@@ -74,7 +74,7 @@ class ExactSequence(Node):
             return replace(v, errors=[*v.errors, v.failed(F.lit(True), "exact_sequence", self.msg or "expected_sequence_of_items")])
         wrong = F.size(v.col) != len(self.items)
         errors = [*v.errors, v.failed(wrong, "exact_sequence", self.msg or "expected_sequence_of_items")]
-        inner = Context(inline=True)
+        inner = ctx.inside()
         made = [x.guarded(Value(F.get(v.col, F.lit(i)), v.type.elementType, [*v.path, F.lit(f"[{i}]")]), inner) for i, x in enumerate(self.items)]
         errors += [F.when(~wrong, e) for m in made for e in m.errors]
         lists = [F.when(~wrong, e).otherwise(F.array().cast(ERRORS)) for m in made for e in m.lists]
@@ -91,7 +91,7 @@ class Unordered(Node):
     def lower(self, v: Value, ctx: Context) -> Value:
         if not isinstance(v.type, T.ArrayType):
             return replace(v, errors=[*v.errors, v.failed(F.lit(True), "not_a_sequence", self.msg or "expected_sequence")])
-        inner, n = Context(inline=True), len(self.items)
+        inner, n = ctx.inside(), len(self.items)
 
         def take(used: Column, c: Column) -> Column:
             """The bit set of contracts in use; -1 once an item matches none that is free."""

@@ -29,10 +29,15 @@ class SchemaError(Exception):
 
 @dataclass
 class Context:
-    """Columns to bind, stage by stage; ``inline`` inside arrays."""
+    """Columns to bind, stage by stage; ``inline`` inside arrays; ``root`` is what ``Self`` stands for."""
 
     stages: list[dict[str, Column]] = field(default_factory=list)
     inline: bool = False
+    root: Node | None = None
+
+    def inside(self) -> Context:
+        """That of an array's or map's items."""
+        return Context(inline=True, root=self.root)
 
     def bind(self, value: Value) -> Value:
         if self.inline:
@@ -265,6 +270,21 @@ class LiteralNode(Node):
         return replace(v, errors=[*v.errors, v.failed(~equals(v.col, v.type, self.value), "not_valid", "not_a_valid_value")])
 
 
+class _Self(Node):
+    """The contract around it, for what nests in itself. It ends where the column's type does, as that is finite."""
+
+    def __repr__(self) -> str:
+        return "Self"
+
+    def lower(self, v: Value, ctx: Context) -> Value:
+        if ctx.root is None:
+            raise SchemaError("Self needs a contract around it")
+        return ctx.root.lower(v, ctx)
+
+
+Self = _Self()
+
+
 class EnumNode(Node):
     """A member's value; the result is the value, as columns hold no members."""
 

@@ -39,7 +39,7 @@ def test_decode(spark):
 
 
 def test_decode_refuses():
-    for doc in ({"type": "object", "patternProperties": {}}, {"type": "object", "properties": {"a": {"$ref": "#"}}}, {"type": "object", "properties": {"a": {"type": "x"}}}, {"type": "object", "properties": {"a": {"enum": []}}}, {"type": "string"}, {"type": "object", "properties": {"a": {"pattern": "(a+)+$"}}}, {"type": "object", "properties": {"a": {"maximum": "1"}}}):
+    for doc in ({"type": "object", "patternProperties": {}}, {"type": "object", "properties": {"a": {"$ref": "other.json"}}}, {"type": "object", "properties": {"a": {"type": "x"}}}, {"type": "object", "properties": {"a": {"enum": []}}}, {"type": "string"}, {"type": "object", "properties": {"a": {"pattern": "(a+)+$"}}}, {"type": "object", "properties": {"a": {"maximum": "1"}}}):
         with pytest.raises(SchemaError):
             from_json_schema(doc)
     deep: dict = {}
