@@ -10,13 +10,14 @@ from typing import Annotated, Literal
 
 from pyspark.sql import functions as F
 
-from pactframe import ALLOW_EXTRA, REMOVE_EXTRA, Contract
+from pactframe import ALLOW_EXTRA, REMOVE_EXTRA, Contract, Self
 from pactframe import functions as f
-from pactframe.codecs import contract_of, from_json_schema, from_openapi, to_json_schema
+from pactframe.codecs import Key, contract_of, from_json_schema, from_openapi, to_field_list, to_json_schema, to_openapi
 from pactframe.operators import rules as r
 from pactframe.operators.combinators import All, Maybe
 from pactframe.operators.markers import Optional, Required
-from pactframe.operators.rules import transitions
+from pactframe.operators.parsed import FromJSONString
+from pactframe.operators.rules import against, transitions
 from pactframe.registry import counted, either, query, t
 
 #: name: (check, code, divisor, bad text, good text)
@@ -194,3 +195,64 @@ def orders_inferred(spark, sf):
 def region_own_schema(spark, sf):
     d = t(spark, sf, "region")
     return Contract.of_schema(d.schema).report(d).agg(F.count("*").alias("n"))
+
+
+JSON_EVENTS = """(select event_id % 10 as d, json_extract(props, '$.k')::bigint as k from events)"""
+
+
+@query(counted(("props.k", "range", "d not in (1, 2, 3) and k > 50", JSON_EVENTS), ("props.k", "type", "d = 1", JSON_EVENTS), ("props", "json", "d = 2", JSON_EVENTS), ("props.x", "extra_keys_not_allowed", "d = 3", JSON_EVENTS)))
+def events_json_text(spark, sf):
+    n = F.col("event_id") % 10
+    props = F.when(n == 1, '{"k": "1"}').when(n == 2, '{"k": 1').when(n == 3, '{"k": 1, "x": 2}').otherwise(F.col("props"))
+    return Contract({"props": FromJSONString({Required("k"): f.Range(max=50)}, "struct<k: bigint>")}).report(t(spark, sf, "events").select(props.alias("props")))
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then 1 else 0 end + case when c_custkey % 3 = 0 then 1 else 0 end as n from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0")
+def customer_against_snapshot(spark, sf):
+    key, old = F.col("c_custkey"), t(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    new = old.withColumn("c_acctbal", F.when(key % 2 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).withColumn("c_mktsegment", F.when(key % 3 != 0, F.col("c_mktsegment")))
+    out = against(new, old, [r.Immutable("c_acctbal"), r.WriteOnce("c_mktsegment")], key="c_custkey")
+    return out.select("c_custkey", F.size("errors").alias("n")).filter("n > 0")
+
+
+@query(counted(("n", "range", "n_nationkey > 20", "nation"), ("sub[].n", "range", "n_nationkey + 1 > 20", "nation"), ("sub[].sub[].n", "range", "n_nationkey + 2 > 20", "nation")))
+def nation_nested_in_itself(spark, sf):
+    k = F.col("n_nationkey")
+    leaf = F.array(F.struct((k + 2).alias("n")))
+    d = t(spark, sf, "nation").select(k.alias("n"), F.array(F.struct((k + 1).alias("n"), leaf.alias("sub"))).alias("sub"))
+    return Contract({Required("n"): f.Range(max=20), Optional("sub"): [Self]}).report(d)
+
+
+@query("select event_id, strftime(ts, '%H:%M:%S.%f') as exact, ts::date as day, epoch(date_trunc('minute', ts))::bigint as minute from events")
+def events_time_formats(spark, sf):
+    ts = F.col("ts")
+    d = t(spark, sf, "events").select("event_id", F.date_format(ts, "HH:mm:ss.SSSSSS'Z'").alias("exact"), F.date_format(ts, "d.M.yyyy").alias("day"), F.date_format(ts, "yyyy/MM/dd HH:mm").alias("minute"))
+    out = Contract({"event_id": int, "exact": f.AsTime(), "day": f.AsDate("%d.%m.%Y"), "minute": f.AsDatetime("%Y/%m/%d %H:%M")}).valid(d)
+    return out.withColumn("minute", F.unix_timestamp("minute"))
+
+
+@dataclass
+class Part:
+    """A part under other names of its columns."""
+
+    key: Annotated[int, Key(alias="p_partkey")]
+    size: Annotated[int, Key(alias="p_size", secret=True), f.Range(max=25)]
+    colour: Annotated[str, Key(forbidden=True)] = ""
+
+
+@query("select path, key, count(*)::bigint as n from (select 'size' as path, 'secret' as key from part where p_size > 25 union all select 'colour', 'forbidden_key' from part where p_partkey % 4 = 0) group by path, key")
+def part_annotated_keys(spark, sf):
+    d = t(spark, sf, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 4 == 0, "red").alias("colour"))
+    return contract_of(Part).errors(d).groupBy("path", "key").agg(F.count("*").alias("n"))
+
+
+@query("select * from (values ('o_orderkey', 'integer', true), ('o_orderstatus', 'select', false), ('o_totalprice', 'float', true)) as v(name, type, required)")
+def orders_field_list(spark, sf):
+    c = Contract({Required("o_orderkey"): int, "o_orderstatus": f.In(["F", "O"]), Required("o_totalprice"): All(float, f.Range(min=0))})
+    return spark.createDataFrame([(x["name"], x["type"], x["required"]) for x in to_field_list(c)], "name string, type string, required boolean")
+
+
+@query("select p_partkey from part where p_size >= 10 and p_size < 40")
+def part_openapi_round_trip(spark, sf):
+    c = Contract({"p_partkey": int, "p_size": f.Range(10, 40, max_included=False)}, extra=ALLOW_EXTRA)
+    return from_openapi(to_openapi(c)).valid(t(spark, sf, "part")).select("p_partkey")

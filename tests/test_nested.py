@@ -13,6 +13,7 @@ from pactframe.codecs import Key, contract_of, from_json_schema, to_field_list,
 from pactframe.codecs.fields import UNSUPPORTED
 from pactframe.operators.combinators import All, Any, Maybe
 from pactframe.operators.markers import Forbidden, Optional, Required, Secret
+from pactframe.operators.parsed import FromJSONString
 from pactframe.operators.rules import Immutable, WriteOnce, against
 
 TREE = "n int, sub array<struct<n:int,sub:array<struct<n:int>>>>"
@@ -103,3 +104,17 @@ def test_formats_of_times(spark):
     assert [sorted(e["code"] for e in r.errors) for r in rows] == [[], ["date", "datetime", "time", "time"], [], ["time"]]
     with pytest.raises(SchemaError):
         f.Time("%Q")
+
+
+def test_json_text(spark):
+    rows = ['{"a": 1, "b": {"c": "x"}, "l": [1, 2.5]}', '{"a": "1", "b": {"c": 2, "d": 1}, "z": 0}', "{a", '{"a": 9, "l": ["u", 1]}', None, "[1]", '{"a": 5.0}', '{"a": true}', '{"a": null, "b": null}', '{"a": 1, "a": 2}']
+    inner = {Required("a"): f.Range(max=5), "b": {"c": str}, "l": [float]}
+    kind = "struct<a: int, b: struct<c: string>, l: array<double>>"
+    df = spark.createDataFrame([(x,) for x in rows], "j string")
+    got = Contract({"j": FromJSONString(inner, kind)}).apply(df).collect()
+    want = [[], [("j.a", "type"), ("j.b.c", "type"), ("j.b.d", "extra_keys_not_allowed"), ("j.z", "extra_keys_not_allowed")], [("j", "json")], [("j.l", "type")], [], [("j", "type")], [("j.a", "type")], [("j.a", "type")], [("j.a", "required")], [("j", "json")]]
+    assert [sorted((".".join(e["path"]), e["code"]) for e in r.errors) for r in got] == want
+    assert got[0].j.b.c == "x" and got[0].j.l == [1.0, 2.5]
+    assert Contract({"j": FromJSONString(inner, kind, keep=True)}).valid(df).filter("j is not null").first().j == rows[0]
+    with pytest.raises(SchemaError):
+        FromJSONString(int, "int")
