@@ -50,15 +50,17 @@ class FromJSONString(Node):
     def lower(self, v: Value, ctx: Context) -> Value:
         if not text(v.type):
             return replace(v, errors=[*v.errors, v.failed(F.lit(True), "json", self.msg or "expected_json_string")])
-        parsed = F.try_parse_json(v.col)
-        bad = parsed.isNull()
-        told, extra = [], []
-        self._told(self.kind, self.inner, [], v, parsed, told, extra)
-        right = ~bad
+        # bound, so that each text is parsed and told once
+        once = ctx.bind(replace(v.fresh(), col=F.try_parse_json(v.col), type=T.VariantType()))
+        bad, told, extra = once.col.isNull(), [], []
+        self._told(self.kind, self.inner, [], v, once.col, told, extra)
+        fits = ~bad
         for e in told:
-            right = right & e.isNull()
+            fits = fits & e.isNull()
+        held = ctx.bind(replace(once, col=fits, type=T.BooleanType()))
+        right = held.col
         # text of the right types alone is read and checked further
-        read = ctx.bind(replace(v.fresh(), col=F.from_json(F.when(right, v.col), self.kind), type=self.kind))
+        read = ctx.bind(replace(held, col=F.from_json(F.when(right, v.col), self.kind), type=self.kind))
         done = self.inner.guarded(read, ctx)
         none = F.array().cast(ERRORS)
         errors = [v.failed(bad, "json", self.msg or "expected_json_string"), *told, *[F.when(right, e) for e in done.errors]]
