@@ -61,13 +61,15 @@ class JsonType(Node):
 def from_json_schema(doc: dict) -> Contract:
     """A contract of an object schema."""
     made = _decode(_inlined(doc, doc, ()), 0)
-    if not isinstance(made, Mapping):
-        made = next((b for b in getattr(made, "branches", []) if isinstance(b, Mapping)), None)
+    # what is said of the row besides its keys is held against it as a whole
+    parts = made.branches if isinstance(made, All) else [made]
+    made = next((b for b in parts if isinstance(b, Mapping)), None)
     if made is None:
         raise SchemaError("the schema of a row is an object")
     out = Contract({})
     out.root = made
     made.bound = True
+    out.also = [b for b in parts if b is not made]
     return out
 
 
@@ -266,12 +268,19 @@ def is_catastrophic(pattern: str) -> bool:
 
 def to_json_schema(contract: Contract | Node, strict: bool = False) -> dict:
     """The document of a contract."""
-    return _encode(contract.root if isinstance(contract, Contract) else node(contract), strict, "2020")
+    return _document(contract, strict, "2020")
 
 
 def to_openapi(contract: Contract | Node, openapi_version: str = "3.1.0", strict: bool = False) -> dict:
     """A schema object; 3.0 has ``nullable`` and boolean exclusive bounds."""
-    return _encode(contract.root if isinstance(contract, Contract) else node(contract), strict, "3.0" if openapi_version.startswith("3.0") else "2020")
+    return _document(contract, strict, "3.0" if openapi_version.startswith("3.0") else "2020")
+
+
+def _document(contract: Contract | Node, strict: bool, dialect: str) -> dict:
+    if not isinstance(contract, Contract):
+        return _encode(node(contract), strict, dialect)
+    out = _encode(contract.root, strict, dialect)
+    return out | {"allOf": [*out.get("allOf", []), *[_encode(n, strict, dialect) for n in contract.also]]} if contract.also else out
 
 
 def _encode(n: Node, strict: bool, dialect: str) -> dict:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pactframe.operators.mapping import ALLOW_EXTRA, PREVENT_EXTRA, REMOVE_EXTRA, Mapping
 from pactframe.operators.markers import Optional, Required
 from pactframe.operators.rules import Rule
-from pactframe.plans.nodes import ERRORS, Context, SchemaError
+from pactframe.plans.nodes import ERRORS, Context, Node, SchemaError, Value
 
 __all__ = ["ALLOW_EXTRA", "PREVENT_EXTRA", "REMOVE_EXTRA", "Contract", "ContractError", "rendered", "validated"]
 
@@ -60,12 +60,14 @@ class Contract:
 
     def __init__(self, schema: dict | Contract, required: bool = False, extra: int = PREVENT_EXTRA, rules: list[Rule] | tuple = ()):
         if isinstance(schema, Contract):
-            self.root, self.rules = schema.root, [*schema.rules, *rules]
+            self.root, self.rules, self.also = schema.root, [*schema.rules, *rules], list(schema.also)
             return
         if not isinstance(schema, dict):
             raise SchemaError("a contract is a mapping of keys to contracts")
         self.root, self.rules = Mapping(schema, required, extra), list(rules)
         self.root.bound = True
+        #: Nodes that the row, as a struct, is held against besides.
+        self.also: list[Node] = []
 
     def __eq__(self, other: object) -> bool:
         return isinstance(other, Contract) and (self.root.schema, self.root.required, self.root.extra) == (other.root.schema, other.root.required, other.root.extra)
@@ -80,6 +82,7 @@ class Contract:
         out = Contract({})
         out.root = self.root.extended(schema.root if isinstance(schema, Contract) else schema, required, extra)
         out.root.bound = True
+        out.also = [*self.also, *(schema.also if isinstance(schema, Contract) else [])]
         out.rules = [*self.rules, *(schema.rules if isinstance(schema, Contract) else [])]
         return out
 
@@ -122,6 +125,10 @@ class Contract:
         ctx = Context(root=self.root)
         columns = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
         out, kinds, errors, lists, _, _ = self.root.fields_of(columns, [], 0, ctx)
+        row = Value(F.struct(*[c.alias(k) for k, (c, _) in columns.items()]), df.schema)
+        for n in self.also:
+            done = n.lower(row, ctx)
+            errors, lists = [*errors, *done.errors], [*lists, *done.lists]
         for rule in self.rules:
             errors += rule.errors(lambda k: columns[k][0] if k in columns else F.lit(None))
         for stage in ctx.stages:

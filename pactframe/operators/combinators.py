@@ -45,7 +45,9 @@ class All(Node):
 
 
 class Any(Node):
-    """The first branch that accepts. A miss is one error: ``no_match`` if all branches are plain values or types, else that of the last branch."""
+    """The first branch that accepts. A miss is one error: ``no_match`` if all branches are plain values or types, else that of the last branch.
+
+    Branches of several types give a string, numbers a double; structs of several types stay as they came."""
 
     def __init__(self, *branches, msg: str | None = None, required: bool = False):
         if not branches:
@@ -69,6 +71,8 @@ class Any(Node):
             # alternatives of several types: those that can't match at all don't count, numbers widen, the rest are strings
             live = [t for b, t in zip(self.branches, tried)]
             kind = T.DoubleType() if all(isinstance(t.type, T.NumericType) for t in live) else T.StringType()
+            if all(isinstance(t.type, T.StructType) for t in live):
+                kind, tried = v.type, [replace(t, col=v.col) for t in tried]
         value = tried[-1].col.cast(kind)
         for h, t in reversed(list(zip(hit, tried))[:-1]):
             value = F.when(h, t.col.cast(kind)).otherwise(value)

@@ -87,3 +87,11 @@ def test_annotations(spark):
     assert errors(spark, contract_of(Row), [(None, {"x": 1})], "a int, b map<string,int>") == [[("a", "required")]]
     with pytest.raises(SchemaError):
         contract_of(int)
+
+
+def test_all_that_is_said_of_a_row(spark):
+    doc = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "integer"}}, "allOf": [{"required": ["a"]}, {"anyOf": [{"required": ["b"]}, {"properties": {"a": {"minimum": 5}}, "additionalProperties": True}]}], "not": {"required": ["b"], "properties": {"b": {"const": 7}}, "additionalProperties": True}}
+    rows = [(1, 1), (None, 1), (1, None), (9, None), (1, 7)]
+    for made in (from_json_schema(doc), from_json_schema(to_json_schema(from_json_schema(doc)))):
+        assert [r.a for r in made.valid(spark.createDataFrame(rows, "a int, b int")).collect()] == [1, 9]
+    assert [bool(e) for e in errors(spark, from_json_schema(doc).extend({}), rows, "a int, b int")] == [False, True, True, False, True]
