@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -62,6 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that freed batches and texts have left behind back to the system. Workers live on from stage to stage, and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, Any]]], schema: str) -> DataFrame:
     """``mapInArrow`` over small column slices: ``fn`` gets an iterator of {column: list} for a whole
     partition and yields {column: list} in turn."""
@@ -76,6 +85,8 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[d
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+            batch = part = None
+            release()
 
     def run(batches):
         for out in fn(slices(batches)):
@@ -108,5 +119,7 @@ def extend(df: DataFrame, text_col: str, fn: Callable[[list[str | None]], list[d
                 part = batch.slice(i, SLICE)
                 out = pa.array(fn(part.column(at).to_pylist()), type=kind.type)
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, name])
+            batch = part = out = None
+            release()
 
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, made))
